@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from gridloom.llm import simhash_vptree
+from gridloom.llm import decontaminate, simhash_vptree
 
 QUERIES = {
     "op9_simhash_vptree": simhash_vptree.op9,
+    "op10_decontaminate": decontaminate.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_decontaminate": decontaminate.ORACLE,
+}
