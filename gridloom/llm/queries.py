@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontaminate, simhash_vptree
+from gridloom.llm import decontaminate, language_ecoc, quality_pu, simhash_vptree
 
 QUERIES = {
+    "op5_quality_pu": quality_pu.op5,
+    "op6_language_ecoc": language_ecoc.op6,
     "op9_simhash_vptree": simhash_vptree.op9,
     "op10_decontaminate": decontaminate.op10,
 }
