@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontaminate, language_ecoc, quality_pu, simhash_vptree
+from gridloom.llm import decontaminate, language_ecoc, pii_surrogates, quality_pu, simhash_vptree
 
 QUERIES = {
     "op5_quality_pu": quality_pu.op5,
     "op6_language_ecoc": language_ecoc.op6,
+    "op8_pii_surrogates": pii_surrogates.op8,
     "op9_simhash_vptree": simhash_vptree.op9,
     "op10_decontaminate": decontaminate.op10,
 }
