@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontaminate, language_ecoc, packing_lp, pii_surrogates, quality_pu, simhash_vptree
+from gridloom.llm import decontaminate, language_ecoc, multiset_fingerprint, packing_lp, pii_surrogates, quality_pu, simhash_vptree
 
 QUERIES = {
     "op3_packing_lp": packing_lp.op3,
     "op5_quality_pu": quality_pu.op5,
     "op6_language_ecoc": language_ecoc.op6,
+    "op7_multiset_fingerprint": multiset_fingerprint.op7,
     "op8_pii_surrogates": pii_surrogates.op8,
     "op9_simhash_vptree": simhash_vptree.op9,
     "op10_decontaminate": decontaminate.op10,
