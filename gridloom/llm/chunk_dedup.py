@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.suffix_dedup import _groups, _kept, _texts
+from gridloom.llm.suffix_dedup import KEPT, _groups, _kept, _texts, keyed_texts, with_spans
 
 WINDOW = 16
 
@@ -151,13 +151,10 @@ def _long_runs(min_run: int):
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 5, least: int = 16, most: int = 256, min_run: int = 64) -> DataFrame:
     """Per row: id, ``n_bytes``, removed ``spans`` as byte ranges, ``n_removed`` and ``kept_sha256``."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
-    rows = keyed.select("doc", "th", "text").mapInArrow(_chunks(bits, max(least, WINDOW), most), _ROW)
+    keyed = keyed_texts(docs, id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = keyed.mapInArrow(_chunks(bits, max(least, WINDOW), most), _ROW)
     spans = rows.repartition("k1").sortWithinPartitions("k1", "k2").mapInArrow(_copies, "doc long, th long, start int, end int")
-    by_doc = spans.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnsRenamed({"doc": "_doc", "th": "_th"})
-    joined = keyed.join(by_doc, (F.col("doc") == F.col("_doc")) & (F.col("th") == F.col("_th")), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_long_runs(min_run), "doc_id long, n_bytes long, spans array<array<int>>, n_removed long, kept_sha256 string")
+    return with_spans(keyed, spans).mapInArrow(_long_runs(min_run), KEPT)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

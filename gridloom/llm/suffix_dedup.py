@@ -315,6 +315,24 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_bytes", "spans", "n_removed", "kept_sha256"])
 
 
+NO_ID = -(2**63)
+KEPT = "doc_id long, n_bytes long, spans array<array<int>>, n_removed long, kept_sha256 string"
+
+
+def keyed_texts(docs: DataFrame, id_col: str, text) -> DataFrame:
+    """``doc`` (the id, or ``NO_ID``), ``th`` (a hash of the text) and the text's bytes."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
+
+
+def with_spans(keyed: DataFrame, spans: DataFrame) -> DataFrame:
+    """Each row's text with the spans of its id. Joined on ``doc`` alone, as the texts are joined with other things
+    before, so that Spark shuffles the texts once and reads that exchange again."""
+    by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("th", "start", "end")).alias("spans")).withColumnRenamed("doc", "_doc")
+    own = F.filter("spans", lambda s: s["th"] == F.col("th"))
+    joined = keyed.join(by_doc, F.col("doc") == F.col("_doc"), "left").select("doc", "th", "text", "spans")
+    return joined.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text", own.alias("spans"))
+
+
 def repeated_spans(docs: DataFrame, length: int = 100, buckets: int | None = None, heavy: int = 20_000, sample: float = 0.02) -> DataFrame:
     """Spans ``(doc, th, start, end)`` that repeat what starts earlier; ``docs`` has ``doc``, ``th`` and binary ``text``."""
     spark = docs.sparkSession
@@ -337,11 +355,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, buckets: int | None = Non
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, **options) -> DataFrame:
     """Per row: id, ``n_bytes``, removed ``spans`` as byte ranges, ``n_removed`` and ``kept_sha256``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
-    spans = repeated_spans(keyed.select("doc", "th", "text"), length, **options)
-    by_doc = spans.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnsRenamed({"doc": "_doc", "th": "_th"})
-    joined = keyed.join(by_doc, (F.col("doc") == F.col("_doc")) & (F.col("th") == F.col("_th")), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_kept, "doc_id long, n_bytes long, spans array<array<int>>, n_removed long, kept_sha256 string")
+    keyed = keyed_texts(docs, id_col, text)
+    return with_spans(keyed, repeated_spans(keyed, length, **options)).mapInArrow(_kept, KEPT)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
