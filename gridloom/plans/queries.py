@@ -341,7 +341,7 @@ add("reslice_linear", "3", lambda lat: lat.reslice(_target(lat)), """, m as (sel
   select x, y, z, 0 as t, round(case when n = 4 then v else low end, 6) + 0.0 as v from g, m""")
 add("reslice_nn", "3", lambda lat: lat.reslice_nn(_target(lat)), ", m as (select min(v) as low from e) select a.x, a.y, a.z, a.t, round(coalesce(b.v, low), 6) + 0.0 as v from e a left join e b on b.x = a.x + 1 and b.y = a.y and b.z = a.z, m")
 add("reslice_mask", "3", lambda lat: lat.reslice_mask(lat), ", m as (select min(v) as low from e)" + each("case when v > 0 then v else low end", "e, m"))
-add("conform", "3", lambda lat: lat.with_df(lat.df.where("z < 16"), shape=(8, 8, 16, 1)).conform())
+add("conform", "3", lambda lat: lat.with_df(lat.df.where("z < 16"), shape=(8, 8, 16, 1)).conform(), out=lambda lat: lat.df.groupBy("z").agg(F.count("*").alias("voxels"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.max("v"), 6).alias("top")))  # by slice: 256 rows for 256 ** 3 voxels
 add("comply", "3", lambda lat: lat.comply(16, 16, 16, 0.5, 0.5, 1, 0.98, 1))
 add("robustfov", "3", lambda lat: lat.robustfov(60), " select x, y, cast(z - (mz - 59) as int) as z, t, round(v, 6) + 0.0 as v from e, (select max(z) as mz from e) where z >= mz - 59")
 add("allineate", "3", lambda lat: (b := lat.with_df(lat.df.where("z < 8"), shape=(8, 8, 8, 1))).allineate(b, "ls", "sho"))
