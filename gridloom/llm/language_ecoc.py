@@ -49,6 +49,8 @@ def ngrams(text: str) -> np.ndarray:
 
 def codewords(n: int, seed: int = 11) -> np.ndarray:
     """An ``n`` by bits matrix of +1 and -1 with distinct, non-constant columns where it is exhaustive."""
+    if not n:
+        return np.zeros((0, 0))
     if n <= 7:
         cols = [c for c in itertools.product((1, -1), repeat=n) if c[0] == 1 and -1 in c]
         return np.array(cols, float).T.reshape(n, -1)
