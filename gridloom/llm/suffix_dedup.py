@@ -102,19 +102,19 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), off
 
 
-def _groups(off: np.ndarray):
-    """Row ranges of about ``GROUP`` bytes."""
+def _groups(off: np.ndarray, size: int = GROUP):
+    """Row ranges of about ``size`` bytes."""
     i = 0
     while i < len(off) - 1:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + GROUP, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, side="right")) - 1)
         yield i, j
         i = j
 
 
-def _runs(batch: pa.RecordBatch, column: int, length: int, rows: np.ndarray | None = None):
+def _runs(batch: pa.RecordBatch, column: int, length: int, rows: np.ndarray | None = None, size: int = GROUP):
     """Per group of rows: its bytes, the rows' starts and ends in them, the first row, and the anchors."""
     data, off = _texts(batch.column(column))
-    for i, j in _groups(off):
+    for i, j in _groups(off, size):
         if rows is not None and not rows[i:j].any():
             continue
         buf, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
@@ -168,7 +168,7 @@ def _segments(length: int, heavy: np.ndarray, splitters: list[bytes]):
             doc, th = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             known = b.column(3)
             has = np.array(known.is_valid()) if not len(heavy) else np.ones(len(doc), bool)
-            for buf, starts, i, (p, s0, s1, h, d) in _runs(b, 2, length, has):
+            for buf, starts, i, (p, s0, s1, h, d) in _runs(b, 2, length, has, 4 * GROUP):
                 part = known.slice(i, len(starts))
                 lists = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64) if len(part) else np.zeros(0, np.uint64)
                 keep = np.isin(h, lists) | np.isin(h, heavy)  # the hashes of other rows of the group do no harm
@@ -199,7 +199,7 @@ def _segments(length: int, heavy: np.ndarray, splitters: list[bytes]):
                 for (lead, shift, seg), at in first.items():
                     for col, v in zip(out, (lead, *at, shift, seg), strict=True):
                         col.append(v)
-                for at, size in merged:
+                for at, size in _joined(merged):
                     for col, v in zip(out, (None, *at, size, None), strict=True):
                         col.append(v)
                 if out[0]:
@@ -211,6 +211,18 @@ def _segments(length: int, heavy: np.ndarray, splitters: list[bytes]):
     return run
 
 
+def _joined(spans: list[tuple]) -> list[tuple]:
+    """Spans ``((doc, th, start), length)`` with those that touch made one."""
+    out: list[tuple] = []
+    for (doc, th, start), size in sorted(spans):
+        if out and out[-1][0][:2] == (doc, th) and start <= out[-1][0][2] + out[-1][1]:
+            first = out[-1][0]
+            out[-1] = (first, max(out[-1][1], start + size - first[2]))
+        else:
+            out.append(((doc, th, start), size))
+    return out
+
+
 def multikey_ties(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of ``buf`` at ``at`` that equal another on ``length`` bytes: indices into ``at`` and group numbers.
 
