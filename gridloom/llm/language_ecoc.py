@@ -25,12 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIM = 4096
-LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTER = re.compile("[A-Za-z]")
 _KEEP = np.full(256, 32, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
 _KEEP[128:] = np.arange(128, 256)
 
 
+def has_letter(text: str) -> bool:
+    return bool(ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 def ngrams(text: str) -> np.ndarray:
     """Square roots of the shares of hashed n-grams, of length one."""
     a = _KEEP[np.frombuffer(f" {text} ".lower().encode("utf-8", "surrogatepass"), np.uint8)].astype(np.uint32)
@@ -105,7 +109,7 @@ def _training_rows(batches):
         for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             words = t.split()
             for cut in (t, " ".join(words[:12]), " ".join(words[len(words) // 2 :][:4])):
-                if LETTER.search(cut):
+                if has_letter(cut):
                     xs.append(ngrams(cut).astype(np.float16).tobytes())
                     langs.append(lang)
         yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(langs, pa.string())], ["x", "lang"])
@@ -135,7 +139,7 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", margin: fl
         import pandas as pd
 
         out = pd.DataFrame({"lang_pred": "und", "score": 0.0, "ambiguous": True}, index=range(len(texts)))
-        has = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)] if model.langs else []
+        has = [i for i, t in enumerate(texts) if t is not None and has_letter(t)] if model.langs else []
         for i in range(0, len(has), 256):
             at = has[i : i + 256]
             best, p, gap = model.decode(np.stack([ngrams(texts.iloc[j]) for j in at]))
