@@ -98,6 +98,8 @@ def gathered(lat: Lattice, shape, affine, pix, linear: bool = True, outside: str
     site = grid_of(spark, (*shape[:3], 1)).drop("t")
     at = [sum(F.col(c) * float(m[r, k]) for k, c in enumerate("xyz")) + float(m[r, 3]) for r in range(3)]
     site = site.withColumns({f"f{c}": F.round(a, 9) for c, a in zip("xyz", at, strict=True)})
+    for c, n in zip("xyz", lat.shape, strict=False):  # sites that see no voxel need no corners
+        site = site.where((F.col(f"f{c}") > -1) & (F.col(f"f{c}") < n))
     if linear:
         corner = "inline(transform(sequence(0, 7), k -> struct(k % 2 as cx, (k div 2) % 2 as cy, k div 4 as cz)))"
         near = site.select("*", F.expr(corner)).withColumns({f"b{c}": F.floor(f"f{c}").cast("int") + F.col(f"c{c}").cast("int") for c in "xyz"})

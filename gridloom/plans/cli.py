@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 import sys
 
+import numpy as np
 from pyspark.sql import SparkSession
 
 from gridloom.lattice import Lattice
-from gridloom.operators import REGISTRY
-from gridloom.sources import nifti
+from gridloom.operators import REGISTRY, mesh, tensor
+from gridloom.operators.components import otsu_threshold
+from gridloom.operators.reduce import compare
+from gridloom.sources import bitmap, meshes, nifti
 
 #: Operators with arguments, and how many; others have none. ``?`` is a number or an image.
 ARGUMENTS = {
@@ -30,10 +33,59 @@ def number(text: str) -> float | None:
         return None
 
 
+def options(args: list[str], flags: str = "") -> dict[str, str]:
+    """``-a value`` pairs; letters of ``flags`` take no value."""
+    out, rest = {}, list(args)
+    while rest:
+        name = rest.pop(0).lstrip("-")
+        out[name] = "1" if name in flags else rest.pop(0)
+    return out
+
+
+def save_mesh(lat: Lattice, args: list[str], path: str) -> str:
+    """``-i d|m|b|number``: iso from Otsu classes or a number; ``-p`` smooth first, ``-r`` keep a share, ``-s`` rounds of smoothing."""
+    o = options(args)
+    iso = o.get("i", "m")
+    if o.get("p", "1") != "0":
+        lat = lat.apply("s", -0.5)
+    level = number(iso)
+    if level is None:
+        level = otsu_threshold(lat, {"d": 5, "m": 3, "b": 1}[iso])
+    v, f = mesh.arrays(*mesh.isosurface(lat, level))
+    if int(o.get("s", 0)):
+        v = mesh.smoothed(v, f, int(o["s"]))
+    if float(o.get("r", 1)) < 1:
+        v, f = mesh.simplified(v, f, float(o["r"]))
+    return meshes.write(path, v, f)
+
+
+def save_tensors(spark: SparkSession, args: list[str]) -> None:
+    """``-k image -r bvec -b bval -o base [-m mask]``: writes every part of the fit."""
+    o = options(args)
+    numbers = lambda path: np.array(nifti.open_bytes(path).decode().split(), float)
+    b = numbers(o["b"])
+    fit, s0 = tensor.dtifit(nifti.read(spark, o["k"]), b, numbers(o["r"]).reshape(3, len(b)), nifti.read(spark, o["m"]) if "m" in o else None)
+    parts = tensor.parts(fit)
+    for name in ("FA", "MD", "MO", "L1", "L2", "L3"):
+        nifti.write(tensor.part(parts, name), f"{o['o']}_{name}.nii.gz")
+    for k in (1, 2, 3):
+        at = tensor.PARTS.index(f"V{k}x")
+        nifti.write(parts.apply("crop", at, 3), f"{o['o']}_V{k}.nii.gz")
+    nifti.write(s0, f"{o['o']}_S0.nii.gz")
+    nifti.write(fit, f"{o['o']}_tensor.nii.gz")
+
+
 def run(spark: SparkSession, argv: list[str]) -> Lattice | None:
     """Run a command; returns the image that is written, or None for reports."""
     args = list(argv)
     dtype = "float"
+    if args[:1] == ["--dtifit"]:
+        save_tensors(spark, args[1:])
+        return None
+    if len(args) > 1 and args[0].endswith(".mz3"):
+        v, f = meshes.read_mz3(args[0])
+        meshes.write(args[-1], *mesh.simplified(v, f, float(options(args[1:-1], "v").get("r", 0.25))))
+        return None
     if args[:1] == ["-dt"]:
         if args[1] not in ("float", "double"):
             raise ValueError("-dt takes float or double")
@@ -52,6 +104,16 @@ def run(spark: SparkSession, argv: list[str]) -> Lattice | None:
         kind, args = args[-1], args[:-2]
     while args:
         name = args.pop(0).lstrip("-")
+        if name == "compare":
+            print(compare(lat, load(output)).first().asDict())
+            return None
+        if name == "mesh":
+            save_mesh(lat, args, output)
+            return None
+        if name == "bitmap":
+            o = options(args, "abnNuf")
+            bitmap.bitmap(lat, output, {c: [float(k) for k in o[c].split(",")] for c in "xyz" if c in o} or None, o.get("c", "gray"), zoom=int(o.get("s", 1)))
+            return None
         if name == "kernel":
             shape = args.pop(0)
             n = KERNELS.get(shape, 0)

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.lattice import Lattice
-from gridloom.operators import reduce, temporal, tensor
-from gridloom.sources import views
+from gridloom.operators import mesh, reduce, temporal, tensor
+from gridloom.sources import bitmap, nifti, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -359,6 +359,33 @@ add("dtifit", "4", lambda lat: tensor.dtifit(lat.crop(0, 20).abs().add(2).mul(50
 add("unifize", "3", lambda lat: lat.with_df(lat.df.where("z < 12"), shape=(8, 8, 12, 1)).abs().unifize())
 
 
+def _first_planes(n: int):
+    return lambda lat: lat.with_df(lat.df.where(F.col("z") < n), shape=(8, 8, n, 1))
+
+
+def _surface(lat: Lattice) -> DataFrame:
+    vertices, _ = mesh.isosurface(_first_planes(24)(lat), 0.1)
+    return vertices.select("vid", *(F.round(c, 6).alias(c) for c in "xyz"))
+
+
+add("mesh", "3", lambda lat: lat, out=_surface)
+add("mesh_triangles", "3", lambda lat: lat, out=lambda lat: mesh.isosurface(_first_planes(24)(lat), 0.1)[1])
+add("bitmap", "3", _first_planes(16), out=lambda lat: lat.df.sparkSession.createDataFrame([(len(bitmap.bitmap(lat)),)], "png_bytes long"))
+
+
+def _through_bytes(lat: Lattice) -> Lattice:
+    """Encoded as an image file and decoded again; a few volumes, which the driver holds as a writer does."""
+    data = nifti.encode(lat.to_numpy(), lat, "double")
+    head = nifti.parse_header(data[:348])
+    values = nifti.scaled(data[int(head["vox_offset"]) :], head).reshape(lat.shape[::-1])
+    return Lattice.of_numpy(lat.df.sparkSession, values)
+
+
+add("nifti_roundtrip", "4", lambda lat: _through_bytes(lat.crop(0, 5)), " select x, y, z, t, round(v, 6) + 0.0 as v from e where t < 5")
+for _name in ("MD", "MO", "L1", "L3"):
+    add(f"tensor_{_name}", "4", (lambda n: lambda lat: tensor.part(tensor.parts(_SIX4(lat)), n))(_name))
+
+
 def demean_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``-Tmean -mul -1 -add image``: a reduction, a scalar, and a join of a volume with a series."""
     image = views.emb4d(spark, sf_dir)

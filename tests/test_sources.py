@@ -75,6 +75,32 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert cli.number("4d") is None and cli.number("1e3") == 1000
 
 
+def test_terminal_commands(spark, tmp_path, capsys):
+    from gridloom.sources import meshes
+
+    z, y, x = np.indices((10, 10, 10))
+    ball = 4.0 - np.sqrt((x - 4.5) ** 2 + (y - 4.5) ** 2 + (z - 4.5) ** 2)
+    src = str(tmp_path / "ball.nii")
+    nifti.write(Lattice.of_numpy(spark, ball), src, "float")
+    cli.run(spark, [src, "-mesh", "-i", "0", "-p", "0", "-r", "0.5", str(tmp_path / "b.mz3")])
+    n = len(meshes.read_mz3(str(tmp_path / "b.mz3"))[1])
+    cli.run(spark, [str(tmp_path / "b.mz3"), "-r", "0.5", str(tmp_path / "c.mz3")])
+    assert len(meshes.read_mz3(str(tmp_path / "c.mz3"))[1]) < n
+    cli.run(spark, [src, "-bitmap", "-z", "0.5", "-c", "viridis", str(tmp_path / "b.png")])
+    assert (tmp_path / "b.png").read_bytes()[:4] == b"\x89PNG"
+    cli.run(spark, [src, "--compare", src])
+    assert "'max_diff': 0.0" in capsys.readouterr().out
+    b = [0.0] + [1000.0] * 7
+    g = np.random.default_rng(2).normal(size=(3, 8))
+    g /= np.linalg.norm(g, axis=0)
+    g[:, 0] = 0
+    (tmp_path / "b.bval").write_text(" ".join(map(str, b)))
+    (tmp_path / "b.bvec").write_text("\n".join(" ".join(map(str, r)) for r in g))
+    nifti.write(Lattice.of_numpy(spark, np.full((8, 2, 2, 2), 500.0) * np.exp(-np.array(b) * 1e-3)[:, None, None, None]), src, "double")
+    cli.run(spark, ["--dtifit", "-k", src, "-r", str(tmp_path / "b.bvec"), "-b", str(tmp_path / "b.bval"), "-o", str(tmp_path / "d")])
+    assert np.allclose(nifti.read(spark, str(tmp_path / "d_MD.nii.gz")).to_numpy(), 1e-3, atol=1e-6)
+
+
 def test_bitmap(spark, tmp_path):
     lat = image(spark)
     data = bitmap.bitmap(lat, str(tmp_path / "a.png"), {"z": [0.2, 0.8]}, "viridis", overlay=lat)
