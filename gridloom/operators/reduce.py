@@ -124,11 +124,30 @@ def ing(lat, mean):
 def fdr(lat, q):
     """Benjamini-Hochberg: p values above the largest that holds ``p <= q i / n`` become 1."""
     p = lat.df.where(~F.isnan("v")).groupBy("v").count()
-    ranked = p.withColumn("i", F.sum("count").over(Window.orderBy("v")))
+    ranked = running_totals(p, "v", {"count": "i"})
     row = ranked.crossJoin(F.broadcast(p.agg(F.sum("count").alias("n")))).agg(F.max(F.when(F.col("v") <= F.col("i") * float(q) / F.col("n"), F.col("v"))).alias("cut"))
     return lat.with_row(row, lambda v: F.when(F.col("cut").isNotNull() & (v <= F.col("cut")), v).otherwise(1.0))
 
 
+def running_totals(df, value: str, columns: dict[str, str], descending: bool = False, bins: int = 1024):
+    """``df`` with running sums of ``columns`` (source to new name) in order of ``value``, without a global sort.
+
+    Values fall into equal bins; sums of the bins before come from a window over at most ``bins`` rows, sums inside
+    a bin from a window on the bin.
+    """
+    stats = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    at = F.coalesce(F.floor((F.col(value) - F.col("_lo")) / width * (bins - 1)), F.lit(0)).cast("int")
+    order = (lambda c: F.col(c).desc()) if descending else F.col
+    binned = df.crossJoin(F.broadcast(stats)).withColumn("_bin", at)
+    sums = binned.groupBy("_bin").agg(*(F.sum(c).alias(f"_{n}") for c, n in columns.items()))
+    over = Window.orderBy(order("_bin"))
+    before = sums.select("_bin", *((F.sum(f"_{n}").over(over) - F.col(f"_{n}")).alias(f"_{n}") for n in columns.values()))
+    inside = Window.partitionBy("_bin").orderBy(order(value))
+    joined = binned.join(F.broadcast(before), "_bin")
+    return joined.withColumns({n: F.col(f"_{n}") + F.sum(c).over(inside) for c, n in columns.items()}).drop("_bin", "_lo", "_hi", *(f"_{n}" for n in columns.values()))
+
+
 def compare(a: Lattice, b: Lattice):
     """One row of agreement measures of two images of equal size; NaN equals NaN."""
     j = a.df.join(b.df.withColumnRenamed("v", "w"), ["t", *K])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import numeric as N
 from gridloom.lattice import K, Lattice
 from gridloom.operators import operator
+from gridloom.operators.reduce import running_totals
 
 
 def series():
@@ -214,9 +215,8 @@ def roc(lat: Lattice, truth: Lattice, threshold: float = 0.05, noise: Lattice |
     df = lat.df.where("t = 0").where(inner).join(truth.df.select(*K, F.col("v").alias("truth")), list(K)).where("truth >= 0")
     steps = df.groupBy("v").agg(F.sum(N.flag(F.col("truth") > 0)).alias("hit"), F.sum(N.flag(F.col("truth") == 0)).alias("miss"))
     total = steps.agg(F.sum("hit").alias("hits"), F.sum("miss").alias("misses"))
-    w = Window.orderBy(F.desc("v"))
-    curve = steps.crossJoin(F.broadcast(total)).withColumn("tp", F.sum("hit").over(w) / F.when(F.col("hits") > 0, F.col("hits")))
+    curve = running_totals(steps, "v", {"hit": "found", "miss": "false"}, True).crossJoin(F.broadcast(total)).withColumn("tp", F.col("found") / F.when(F.col("hits") > 0, F.col("hits")))
     if noise is None:
-        return curve.select((F.sum("miss").over(w) / F.when(F.col("misses") > 0, F.col("misses"))).alias("fp"), "tp", F.col("v").alias("threshold"))
+        return curve.select((F.col("false") / F.when(F.col("misses") > 0, F.col("misses"))).alias("fp"), "tp", F.col("v").alias("threshold"))
     tops = noise.df.where(inner).groupBy("t").agg(F.max("v").alias("m")).agg(F.collect_list("m").alias("m"))
     return curve.crossJoin(F.broadcast(tops)).select((F.size(F.filter("m", lambda m: m >= F.col("v"))) / F.lit(float(noise.shape[3]))).alias("fp"), "tp", F.col("v").alias("threshold"))
