@@ -282,7 +282,14 @@ def _resolve(length: int):
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc", "th", "start", "end"])
 
     def run(batches):
-        lead, group, todo, size = None, [], [], 0
+        lead, group, todo, size = None, {}, [], 0  # group: the first place of each different segment
+
+        def close():
+            nonlocal todo, size
+            if len(group) > 1:
+                todo += [(*at, seg) for (_, seg), at in group.items()]
+                size += sum(len(seg) for _, seg in group)
+
         for b in batches:
             done = []
             for key, doc, th, start, shift, seg in zip(*(b.column(k).to_pylist() for k in range(1, 7)), strict=True):
@@ -290,17 +297,18 @@ def _resolve(length: int):
                     done.append((doc, th, start, start + shift))
                     continue
                 if key != lead:
-                    if len(group) > 1:
-                        todo += group
-                        size += sum(len(s[3]) for s in group)
-                        if size > 1 << 20:
-                            done += _spans(todo, length)
-                            todo, size = [], 0
-                    lead, group = key, []
-                group.append((doc, th, start, seg))
+                    close()
+                    lead, group = key, {}
+                    if size > 1 << 20:
+                        done += _spans(todo, length)
+                        todo, size = [], 0
+                mine = (doc, th, start)
+                old = group.setdefault((shift, seg), mine)
+                if mine != old:  # all windows of the later of two equal segments are repeats
+                    group[shift, seg], late = (mine, old) if mine < old else (old, mine)
+                    done.append((*late, late[2] + len(seg)))
             yield emit(done)
-        if len(group) > 1:
-            todo += group
+        close()
         if todo:
             yield emit(_spans(todo, length))
 
