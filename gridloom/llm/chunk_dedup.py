@@ -66,10 +66,16 @@ _ROW = "k1 long, k2 long, doc long, th long, start int, end int, copy boolean"
 
 
 def _split_copies(k1, k2, doc, th, start):
-    """An order by digest and place, and whether each in it is behind the first of its digest."""
+    """An order by digest and place, whether each in it is behind the first of its digest, and whether it is that first once
+    more: the same document in another row."""
     order = np.lexsort((start, th, doc, k2, k1))
+    if not len(order):
+        return order, np.zeros(0, bool), np.zeros(0, bool)
     a, b = k1[order], k2[order]
-    return order, np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1])] if len(a) else np.zeros(0, bool)
+    late = np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1])]
+    first = order[np.maximum.accumulate(np.where(late, 0, np.arange(len(order))))]
+    again = late & (doc[order] == doc[first]) & (th[order] == th[first]) & (start[order] == start[first])
+    return order, late & ~again, again
 
 
 def _batch(k1, k2, doc, th, start, end, copy: bool) -> pa.RecordBatch:
@@ -88,8 +94,8 @@ def _chunks(bits: int, least: int, most: int):
                 digests = b"".join(xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(s.tolist(), e.tolist(), strict=True))
                 k1, k2 = np.frombuffer(digests, np.int64).reshape(-1, 2).T
                 s, e, dd, tt = (s - at[d]).astype(np.int32), (e - at[d]).astype(np.int32), doc[i + d], th[i + d]
-                order, copy = _split_copies(k1, k2, dd, tt, s)
-                first, late = order[~copy], np.sort(order[copy])  # chunks come in order of place
+                order, copy, again = _split_copies(k1, k2, dd, tt, s)  # what comes again gets the spans of the first row
+                first, late = order[~copy & ~again], np.sort(order[copy])  # chunks come in order of place
                 joins = (d[late][1:] == d[late][:-1]) & (s[late][1:] == e[late][:-1])
                 head, tail = late[np.r_[True, ~joins][: len(late)]], late[np.r_[~joins, True][: len(late)]]
                 yield _batch(k1[first], k2[first], dd[first], tt[first], s[first], e[first], False)
@@ -106,11 +112,7 @@ def _copies(batches):
 
     def emit(cols):
         k1, k2, doc, th, start, end = cols
-        order, copy = _split_copies(k1, k2, doc, th, start)
-        if len(order):  # a row that is the first of its digest once more is the same document in two rows
-            head = np.maximum.accumulate(np.where(copy, 0, np.arange(len(order))))
-            first = order[head]
-            copy &= (doc[order] != doc[first]) | (th[order] != th[first]) | (start[order] != start[first])
+        order, copy, _ = _split_copies(k1, k2, doc, th, start)
         at = order[copy]
         return pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (doc, th, start, end)], names)
 
