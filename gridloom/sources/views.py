@@ -27,12 +27,12 @@ def emb3d(spark: SparkSession, sf_dir: str) -> Lattice:
     return Lattice.of(df.select((i % 8).alias("x"), F.floor(i / 8).alias("y"), F.col("n").alias("z"), F.lit(0).alias("t"), "v"), (8, 8, n, 1))
 
 
-def event_series(spark: SparkSession, sf_dir: str, length: int = 40) -> Lattice:
-    """One site for each user, with its first ``length`` events in order of time as the series; users have more."""
+def event_series(spark: SparkSession, sf_dir: str) -> Lattice:
+    """One site for each user, with all its events in order of time as the series; shorter series end early."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "value")
     t = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    users = ev.select("user_id").distinct()
-    n = users.count()
-    number = users.withColumn("x", F.row_number().over(Window.orderBy("user_id")) - 1)
-    df = ev.withColumn("t", t).where(F.col("t") < length).join(F.broadcast(number) if n < 1_000_000 else number, "user_id")
-    return Lattice.of(df.select("x", F.lit(0).alias("y"), F.lit(0).alias("z"), "t", F.col("value").alias("v")), (n, 1, 1, length))
+    users = ev.groupBy("user_id").count()
+    n, length = users.agg(F.count("*"), F.max("count")).first()
+    number = users.select("user_id", (F.row_number().over(Window.orderBy("user_id")) - 1).alias("x"))
+    df = ev.withColumn("t", t).join(F.broadcast(number) if n < 1_000_000 else number, "user_id")
+    return Lattice.of(df.select("x", F.lit(0).alias("y"), F.lit(0).alias("z"), "t", F.col("value").alias("v")), (n, 1, 1, length or 0))
