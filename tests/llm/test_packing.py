@@ -78,14 +78,42 @@ def test_configurations_hold_the_histogram_exactly(seed):
         for s, n in c.items():
             back[s] += n * k
     assert (back == hist).all()
-    plain = sum(k for _, k in packing_lp.best_fit(hist.copy(), 128))
-    assert -(-int((hist * np.arange(129)).sum()) // 128) <= sum(k for _, k in confs) <= plain
+    total = sum(k for _, k in confs)
+    bound = -(-int((hist * np.arange(129)).sum()) // 128)
+    assert bound <= total <= 1.1 * bound + 2
 
 
 def test_the_program_beats_best_fit_where_it_should():
-    hist = np.zeros(101, np.int64)
-    hist[[26, 37, 51, 12]] = [60, 60, 60, 60]  # 51+37+12 fills a sequence
-    assert sum(k for _, k in packing_lp.configurations(hist, 100)) <= sum(k for _, k in packing_lp.best_fit(hist.copy(), 100))
+    for lengths, copies in (((18, 23, 25), 68), ((28, 44, 46, 54), 58), ((26, 28, 36, 43), 56)):
+        hist = np.zeros(101, np.int64)
+        hist[list(lengths)] = copies
+        confs = packing_lp.configurations(hist, 100)
+        assert sum(k for _, k in confs) < sum(k for _, k in packing_lp.best_fit(hist.copy(), 100))
+
+
+def test_the_fractional_packing_covers_and_its_bound_holds():
+    rng = np.random.default_rng(4)
+    hist = np.zeros(257, np.int64)
+    np.add.at(hist, rng.integers(1, 257, 900), 1)
+    columns, bound = packing_lp.solve(hist, 256)
+    back = np.zeros(257)
+    for key, x in columns.items():
+        assert sum(s * k for s, k in key) <= 256
+        for s, k in key:
+            back[s] += k * x
+    assert (back >= hist - 1e-6).all()
+    assert (hist * np.arange(257)).sum() / 256 <= bound + 1e-6 and bound <= sum(columns.values()) <= 1.03 * bound + 1e-6
+
+
+def test_nearly_all_pieces_come_from_the_program(monkeypatch):
+    rng = np.random.default_rng(5)
+    hist = np.zeros(1025, np.int64)
+    np.add.at(hist, np.minimum(1024, rng.lognormal(5, 1, 5000).astype(int) + 1), 1)
+    rest = []
+    plain = packing_lp.best_fit
+    monkeypatch.setattr(packing_lp, "best_fit", lambda left, cap: rest.append(int(left.sum())) or plain(left, cap))
+    total = sum(k for _, k in packing_lp.configurations(hist, 1024))
+    assert sum(rest) < 0.1 * hist.sum() and total <= -(-int((hist * np.arange(1025)).sum()) // 1024) + 1
 
 
 def test_pipeline_stages(spark, tmp_path):
