@@ -1,14 +1,18 @@
-"""SimHash near-duplicate detection with vantage-point partitions (operator 9).
-
-Every text gets a 64-bit SimHash of its word shingles. Two fingerprints that differ in at most
-``max_bits`` bits agree wholly on one of ``max_bits + 1`` bit blocks, so a fingerprint belongs to the
-shards "distance 0 from this value under block i's Hamming metric", one for each block. Inside a shard a
-vantage-point split by Hamming distance is applied recursively: points within the median radius and
-points beyond it are joined apart, and only the points whose distance lies within ``max_bits`` of the
-radius (the triangle bound) are compared across the boundary. Shards above ``max_shard`` are split
-again by the blocks of their remaining bits. A shard yields a spanning star of each of its local
-components, never all pairs, which keeps every connection; global components follow by the star
-algorithm on the edge list.
+"""SimHash near-duplicate detection with vantage-point trees (operator 9).
+
+Every text gets a 64-bit SimHash of its word shingles. A sample of the distinct fingerprints builds a vantage-point
+tree: a node has a vantage point and a radius near the median distance to it; points within the radius go to the inner child,
+the others to the outer one. Two fingerprints that differ in ``max_bits`` bits or fewer have distances to any vantage point
+that differ by no more (the triangle bound), so points whose distance is over ``radius - max_bits`` but within the radius go to
+the outer child as well: every linked pair meets in a leaf. Of a few vantage points and radii the one that copies
+least is taken. The leaves are the shards: every fingerprint is sent to the leaves it reaches. In a shard the same splits go on
+locally, with vantage points of its own, down to leaves of ``LEAF`` fingerprints whose pairs are compared exactly.
+A shard yields a spanning star of each of its local components, never all pairs, which keeps every connection;
+global components follow by the star algorithm on the edge list.
+
+A split that would leave nearly all points on one side, as in a dense cluster, ends the descent, and that set is compared in
+blocks of bounded size. The tree has a leaf for every ``shard`` distinct fingerprints, at least ``2 ** LEVELS`` of them; beyond
+``SAMPLE / 16`` leaves the shards grow instead, and the local splits go deeper.
 
 Defined results: a null text is an empty text; texts without words have fingerprint zero and are
 linked like any other; equal fingerprints are one component; repeated rows give repeated results;
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm._common import connected_components, materialize
 
-LEAF = 64
+LEAF, LEVELS, SAMPLE = 128, 4, 200_000
 
 
 def simhash64(text: str | None, ngram: int = 3, seed: int = 42) -> int:
@@ -57,32 +61,94 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _brute(x: np.ndarray, a: np.ndarray, b: np.ndarray, r: int, out: list) -> None:
-    """Links between index sets ``a`` and ``b``, in blocks of bounded size."""
-    step = max(1, 2_000_000 // max(1, len(b)))
-    for i in range(0, len(a), step):
-        at, to = np.nonzero(np.bitwise_count(x[a[i : i + step], None] ^ x[None, b]) <= r)
-        out.append(np.stack([a[i + at], b[to]]))
+def _split(x: np.ndarray, r: int, rng) -> tuple[int, int] | None:
+    """The vantage point and radius, of a few, that copy the fewest points for the halving; none if every split is lopsided."""
+    best, found = 0.9, None
+    for v in rng.choice(x, min(4, len(x)), replace=False).tolist():
+        d = np.bincount(np.bitwise_count(x ^ np.uint64(v)), minlength=65)
+        inner = np.cumsum(d)
+        for mu in range(65 - 1):
+            low = inner[mu]
+            if not len(x) // 5 <= low <= len(x) - len(x) // 5:
+                continue
+            outer = len(x) - (inner[mu - r] if mu >= r else 0)
+            cost = max(low, outer) / len(x)
+            if cost < best:
+                best, found = cost, (v, mu)
+    return found
+
+
+def vp_tree(sample: np.ndarray, r: int, levels: int) -> list[tuple[int, int, int, int]]:
+    """Nodes ``(vantage point, radius, inner child, outer child)`` over a sample; a negative child ``-1 - k`` is leaf k."""
+    rng = np.random.default_rng(9)
+    nodes: list = []
+    leaves = 0
+
+    def grow(x: np.ndarray, level: int) -> int:
+        nonlocal leaves
+        found = _split(x, r, rng) if level and len(x) > 1 else None
+        if found is None:
+            leaves += 1
+            return -leaves
+        at = len(nodes)
+        nodes.append(None)
+        v, mu = found
+        d = np.bitwise_count(x ^ np.uint64(v))
+        nodes[at] = (v, mu, grow(x[d <= mu], level - 1), grow(x[d > mu - r if mu >= r else slice(None)], level - 1))
+        return at
+
+    grow(sample, levels)
+    return nodes
+
+
+def _shards(nodes: list[tuple], r: int):
+    """A row for each leaf of the tree that a fingerprint reaches."""
+
+    def run(batches):
+        for b in batches:
+            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            todo = [(0 if nodes else -1, fp)]
+            while todo:
+                at, x = todo.pop()
+                if not len(x):
+                    continue
+                if at < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), -1 - at, np.int32)), pa.array(x.view(np.int64))], ["shard", "fp"])
+                    continue
+                v, mu, inner, outer = nodes[at]
+                d = np.bitwise_count(x ^ np.uint64(v)).astype(np.int16)
+                todo += [(inner, x[d <= mu]), (outer, x[d > mu - r])]
+
+    return run
 
 
 def vp_links(x: np.ndarray, r: int) -> np.ndarray:
-    """Index pairs of ``x`` (distinct uint64) at Hamming distance ``r`` or less, by vantage-point splits."""
+    """Index pairs of ``x`` (distinct uint64) at Hamming distance ``r`` or less that connect all such pairs."""
+    rng = np.random.default_rng(3)
     out: list = []
     todo = [np.arange(len(x))]
     while todo:
         s = todo.pop()
         if len(s) < 2:
             continue
-        d = np.bitwise_count(x[s] ^ x[s[0]]).astype(np.int64)
-        mu = int(np.median(d))
-        inner, outer = s[d <= mu], s[d > mu]
-        if len(s) <= LEAF or not len(outer):
-            part: list = []
-            _brute(x, s, s, r, part)
-            out += [p[:, p[0] < p[1]] for p in part]
+        found = _split(x[s], r, rng) if len(s) > LEAF else None
+        if found is not None:
+            d = np.bitwise_count(x[s] ^ np.uint64(found[0])).astype(np.int16)
+            todo += [s[d <= found[1]], s[d > found[1] - r]]
             continue
-        _brute(x, s[(d <= mu) & (d > mu - r)], s[(d > mu) & (d <= mu + r)], r, out)
-        todo += [inner, outer]
+        step = max(1, 2_000_000 // len(s))
+        stars: list = []
+        for i in range(0, len(s), step):
+            at, to = np.nonzero(np.bitwise_count(x[s[i : i + step], None] ^ x[None, s]) <= r)
+            keep = at + i < to
+            stars.append(np.stack([at[keep] + i, to[keep]]))
+            if sum(p.shape[1] for p in stars) > 4 * len(s) + 1000:  # a dense set: hold its components alone
+                a, b = np.concatenate(stars, axis=1)
+                lab = _labels(len(s), a, b)
+                at = np.flatnonzero(lab != np.arange(len(s)))
+                stars = [np.stack([lab[at], at])]
+        a, b = np.concatenate(stars, axis=1)
+        out.append(np.stack([s[a], s[b]]))
     return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
 
 
@@ -103,85 +169,53 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return lab
 
 
-def shard_stars(keys: np.ndarray, fps: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning stars of the local components of shards; ``keys`` is sorted, ``fps`` distinct in a shard."""
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    sizes = np.diff(np.r_[starts, len(keys)])
-    links = []
-    small = np.repeat(sizes <= LEAF, sizes)
-    lag = 1
-    while lag < LEAF and len(keys) > lag:
-        same = (keys[lag:] == keys[:-lag]) & small[lag:]
-        if not same.any():
-            break
-        at = np.flatnonzero(same)
-        at = at[np.bitwise_count(fps[at] ^ fps[at + lag]) <= r]
-        links.append(np.stack([at, at + lag]))
-        lag += 1
-    for s, n in zip(starts[sizes > LEAF], sizes[sizes > LEAF], strict=True):
-        links.append(vp_links(fps[s : s + n], r) + s)
-    if not links:
-        return fps[:0], fps[:0]
-    a, b = np.concatenate(links, axis=1)
-    lab = _labels(len(keys), a, b)
-    at = np.flatnonzero(lab != np.arange(len(keys)))
-    return fps[at], fps[lab[at]]
+def _join_shards(r: int):
+    """From rows sorted by shard: edges ``(a, b)`` that connect the linked fingerprints of each shard."""
 
+    def stars(held: list[np.ndarray]) -> pa.RecordBatch:
+        fps = np.unique(np.concatenate(held))
+        a, b = vp_links(fps, r)
+        lab = _labels(len(fps), a, b)
+        at = np.flatnonzero(lab != np.arange(len(fps)))
+        return pa.RecordBatch.from_arrays([pa.array(fps[at].view(np.int64)), pa.array(fps[lab[at]].view(np.int64))], ["a", "b"])
 
-def _join_shards(r: int):
     def run(batches):
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        done = False
-        it = iter(batches)
-        while not done:
-            b = next(it, None)
-            done = b is None
-            if not done:
-                keys = np.concatenate([keys, b.column(0).to_numpy(zero_copy_only=False)])
-                fps = np.concatenate([fps, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            cut = len(keys) if done else int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            if cut:
-                u, v = shard_stars(keys[:cut], fps[:cut], r)
-                keys, fps = keys[cut:], fps[cut:]
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["a", "b"])
+        last, held = None, []
+        for b in batches:
+            shard, fp = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            cuts = np.flatnonzero(shard[1:] != shard[:-1]) + 1
+            for s, x in zip(shard[np.r_[0, cuts]].tolist() if len(shard) else (), np.split(fp.view(np.uint64), cuts), strict=True):
+                if s != last and held:
+                    yield stars(held)
+                    held = []
+                last = s
+                held.append(x)
+        if held:
+            yield stars(held)
 
     return run
 
 
-def links(fps: DataFrame, max_bits: int = 3, max_shard: int = 16384) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = 3, shard: int = 4096) -> DataFrame:
     """Edges ``(a, b)`` among distinct fingerprints ``fp`` that connect all that lie within ``max_bits`` bits.
 
     The edges are spanning stars: their components are those of the full link relation.
     """
-    blocks = max_bits + 1
-    at = [round(64 * i / blocks) for i in range(blocks + 1)]
-
-    def block(col, lo: int, hi: int):
-        return F.shiftrightunsigned(col, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
-
-    fp = F.col("fp")
-    first = F.array(*(F.struct(F.lit(i).alias("i"), block(fp, at[i], at[i + 1]).alias("v")) for i in range(blocks)))
-    shards = fps.select("fp", F.explode(first).alias("s")).select("fp", "s.i", "s.v")
-    hot = shards.groupBy("i", "v").count().where(F.col("count") > max_shard).select("i", "v", F.lit(True).alias("hot"))
-    shards = shards.join(hot, ["i", "v"], "left")
-    rest = 64 - (at[1] - at[0])
-    moved = F.lit(None).cast("long")
-    for i in range(blocks):  # the bits outside block i, closed up
-        high = F.shiftleft(F.shiftrightunsigned(fp, at[i + 1]), at[i]) if at[i + 1] < 64 else F.lit(0).cast("long")
-        low = fp.bitwiseAND(F.lit((1 << at[i]) - 1).cast("long")) if at[i] else F.lit(0).cast("long")
-        moved = F.when(F.col("i") == i, high.bitwiseOR(low)).otherwise(moved)
-    cuts = [round(rest * j / blocks) for j in range(blocks)] + [rest + 1 if rest < 63 else 63]
-    again = F.array(*(F.xxhash64("i", "v", F.lit(j), block(F.col("m"), cuts[j], min(63, cuts[j + 1]))) for j in range(blocks)))
-    once = F.array(F.xxhash64("i", "v"))
-    keyed = shards.withColumn("m", moved).select(F.explode(F.when(F.col("hot"), again).otherwise(once)).alias("key"), "fp")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_join_shards(max_bits), "a long, b long")
-
-
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3, max_bits: int = 3, max_shard: int = 16384) -> DataFrame:
+    n = fps.count()
+    share = min(1.0, SAMPLE / max(1, n))
+    some = fps.where(F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE)
+    sample = np.sort(np.array([r[0] for r in some.select("fp").collect()], np.int64).view(np.uint64))
+    levels = max(LEVELS, int(np.ceil(np.log2(max(1, min(n / shard, SAMPLE / 16))))))
+    nodes = vp_tree(sample, max_bits, levels)
+    rows = fps.select("fp").mapInArrow(_shards(nodes, max_bits), "shard int, fp long")
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_join_shards(max_bits), "a long, b long")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3, max_bits: int = 3, shard: int = 4096) -> DataFrame:
     """One row per input row: ``doc_id``, ``fp`` (signed long) and ``component_id``, the smallest reachable id."""
     hashed = materialize(fingerprints(docs, id_col, text_col, ngram))
     fps = hashed.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    star = connected_components(links(fps.select("fp"), max_bits, max_shard))
+    star = connected_components(links(fps.select("fp"), max_bits, shard))
     member = fps.join(star, fps.fp == star.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     comp = member.groupBy("root").agg(F.min("low").alias("component_id"))
     return hashed.join(member.join(comp, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
