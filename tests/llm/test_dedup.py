@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -35,7 +36,7 @@ def corpus():
     return [(i * 3, t) for i, t in enumerate(docs)]
 
 
-@pytest.mark.parametrize("options", [{}, {"heavy": 2, "sample": 1.0, "buckets": 5}])
+@pytest.mark.parametrize("options", [{}, {"share": 0.0, "sample": 1.0, "buckets": 5}])
 def test_suffix_dedup_is_exact(spark, options):
     docs = corpus()
     want = brute_suffix([(i, t.encode()) for i, t in docs], 100)
@@ -59,10 +60,24 @@ def test_suffix_dedup_odd_rows(odd_docs):
 def test_multikey_order_finds_all_ties():
     buf = np.frombuffer(b"abcdefghijkl" * 30 + b"zz", np.uint8)
     at = np.arange(0, 200)
-    idx, group = suffix_dedup.multikey_ties(buf, at, 100)
+    idx, group = suffix_dedup.multikey_ties(buf, at, np.full(200, 100), np.zeros(200, np.int64))
     assert set(idx.tolist()) == set(range(200)) and len(set(group.tolist())) == 12
 
 
+def test_nothing_is_found_without_the_sort(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(suffix_dedup, "multikey_ties", lambda *a: (none, none))
+    assert suffix_dedup.deduplicated(docs).where("n_removed > 0").count() == 0
+
+
+def test_rows_without_an_id_are_told_apart(spark):
+    text = prose(3, 60)
+    docs = spark.createDataFrame([(None, text + " one"), (None, "two " + text), (1, text), (None, prose(4, 60))], "doc_id long, text string")
+    rows = suffix_dedup.deduplicated(docs).collect()
+    assert sorted(r["n_removed"] >= len(text) for r in rows) == [False, False, True, True]
+
+
 def brute_chunks(docs, bits=5, least=16, most=256, min_run=64):
     g = np.random.default_rng(77).integers(0, 2**16, 256, np.uint16).astype(int).tolist()
     seen, out = set(), {}
@@ -155,9 +170,38 @@ def test_links_keep_every_component(spark, most):
 def test_vp_links_equal_brute_force():
     rng = np.random.default_rng(4)
     x = np.unique(np.r_[rng.integers(0, 2**64, 300, np.uint64), rng.integers(0, 2**12, 300, np.uint64)])
-    got = {tuple(sorted(p)) for p in simhash_vptree.vp_links(x, 3).T.tolist()}
+    a, b = simhash_vptree.vp_links(x, 3)
     d = np.bitwise_count(x[:, None] ^ x[None])
-    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= 3), strict=True) if i < j}
+    assert (d[a, b] <= 3).all() and (a != b).all()
+    i, j = np.nonzero(d <= 3)
+    want, got = simhash_vptree._labels(len(x), i, j), simhash_vptree._labels(len(x), a, b)
+    assert (want == got).all()
+
+
+def test_the_tree_brings_every_pair_together():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 2**64, 4000, np.uint64)
+    y = x.copy()
+    for _ in range(3):
+        y ^= np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64)
+    nodes = simhash_vptree.vp_tree(x[:2000], 3, 5)
+    assert len(nodes) > 10
+    batch = pa.RecordBatch.from_arrays([pa.array(np.r_[x, y].view(np.int64))], ["fp"])
+    leaf = {}
+    for b in simhash_vptree._shards(nodes, 3)([batch]):
+        for s, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            leaf.setdefault(f, set()).add(s)
+    assert all(leaf[int(p)] & leaf[int(q)] for p, q in zip(x.view(np.int64), y.view(np.int64), strict=True))
+    assert sum(map(len, leaf.values())) < 5 * len(leaf)
+
+
+def test_links_come_through_the_tree(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i // 2, 200) + (" x" if i % 2 else "")) for i in range(60)], "doc_id long, text string")
+    rows = simhash_vptree.components(docs).collect()
+    prints = len({r["fp"] for r in rows})
+    assert len({r["component_id"] for r in rows}) < prints
+    monkeypatch.setattr(simhash_vptree, "vp_links", lambda x, r: np.zeros((2, 0), np.int64))
+    assert len({r["component_id"] for r in simhash_vptree.components(docs).collect()}) == prints
 
 
 def test_components_of_odd_rows(odd_docs):
