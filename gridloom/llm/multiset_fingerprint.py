@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LANES, SHINGLE = 128, 3
+#: A bound for what the driver holds of the ranges; beyond it ranges grow, which tasks read row by row.
+MOST_BUCKETS = 20_000
 
 
 class Sum:
@@ -126,7 +128,7 @@ def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: st
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = docs.count()
     ids = docs.select(F.coalesce("doc_id", F.lit(least)).alias("k"))
-    cuts = max(1, n // rows_per_bucket)
+    cuts = max(1, min(n // rows_per_bucket, MOST_BUCKETS))
     found = ids.agg(F.percentile_approx("k", [i / cuts for i in range(1, cuts)] or [0.5], 100 * cuts)).first()[0] if cuts > 1 else []
     heads = [ids.agg(F.min("k")).first()[0]] if n else [least]
     if found:

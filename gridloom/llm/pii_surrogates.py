@@ -13,10 +13,12 @@ distinct entities of the whole table are checked for surrogates that coincide or
 on any, the key's salt and the length of hashed surrogates grow and the check is repeated.
 
 Texts are rebuilt from the parts between the matches, so that no surrogate is ever searched again. Texts
-without a digit, ``@``, ``=`` or honorific are passed through unread.
+without a digit, ``@``, ``=`` or honorific are passed through unread. Names are found behind an honorific only, secrets behind a keyword with at least 8 characters;
+street addresses and passport numbers are not looked for. E-mail surrogates have a length and a domain of their own. Scripts
+without a surrogate alphabet get Latin letters.
 
 Defined results: null texts stay null and empty texts empty, both with no entity; repeated rows get equal
-results; whole texts are searched; other columns of the input stay as they are (names that begin with
+results; an empty table gives an empty result; whole texts are searched; an input column ``pii_kinds`` is replaced; other columns of the input stay as they are (names that begin with
 ``_pii_`` are taken).
 """
 
@@ -25,8 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HONORIFIC = {"m": "Mr|Herr|Monsieur|Señor|господин", "f": "Mrs|Ms|Miss|Frau|Madame|Señora|госпожа"}
-SECRET = r"""(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?[ \t]*[=:][ \t]*["']?[A-Za-z0-9_/+.\-]{8,}"""
+HONORIFIC = {"m": "Mr|Herr|Monsieur|Señor|господин", "f": "Mrs|Ms|Miss|Frau|Madame|Señora|госпожа", "n": "Dr|Prof|Professor"}
+SECRET = r"""(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)(?:[_-][A-Za-z0-9_-]{1,40})?["']?[ \t]*[=:][ \t]*["']?[A-Za-z0-9_/+.\-]{8,}"""
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 KINDS = {
     "secret": SECRET,
@@ -36,13 +38,13 @@ KINDS = {
     "phone": r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
     "account": r"(?:[0-9]{4}[ \-]){3}[0-9]{4}(?![0-9])|[0-9]{13,19}(?![0-9])",
-    "name": rf"(?:{HONORIFIC['m']}|{HONORIFIC['f']})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+){{0,2}}",
+    "name": rf"(?:{'|'.join(HONORIFIC.values())})\.? [\p{{Lu}}\p{{Lo}}][\p{{L}}\p{{M}}'\-]+(?: \p{{Lu}}[\p{{L}}\p{{M}}'\-]+){{0,2}}",
 }
 ENTITY = r"(?<![\p{L}\p{N}_])(?:" + "|".join(KINDS.values()) + ")"
-MAYBE = rf"[0-9@=]|(?:{HONORIFIC['m']}|{HONORIFIC['f']})\.? |(?i:secret|token|key|passw)"
+MAYBE = rf"[0-9@=]|(?:{'|'.join(HONORIFIC.values())})\.? |(?i:secret|token|key|passw)"
 
 #: By script: 16 consonants and 16 vowels for the hexadecimal digits.
-LETTERS = {"Cyrillic": ("бвгджзклмнпрстфх", "аеиоуаеиоуаеиоуа"), "Greek": ("βγδζθκλμνπρστφχψ", "αειουαειουαειουα"), "Latin": ("bcdfghjklmnprstv", "aeiouaeiouaeioua")}
+LETTERS = {"Han": ("安柏晨东方高海江林明南青山文小云", "宝春丹飞光和佳凯兰民宁平若思天学"), "Arabic": ("بتجحدرسشصطعفقكلم", "اويااويااويااويا"), "Hebrew": ("בגדזחטכלמנספצקרש", "איואאיואאיואאיוא"), "Cyrillic": ("бвгджзклмнпрстфх", "аеиоуаеиоуаеиоуа"), "Greek": ("βγδζθκλμνπρστφχψ", "αειουαειουαειουα"), "Latin": ("bcdfghjklmnprstv", "aeiouaeiouaeioua")}
 HEX = "0123456789abcdef"
 
 
@@ -52,12 +54,13 @@ def _sql(text: str) -> str:
 
 def _by_script(of: str, i: int) -> str:
     """The 16 letters of the script that ``of`` is written in."""
-    return f"case when {of} rlike '\\\\p{{IsCyrillic}}' then {_sql(LETTERS['Cyrillic'][i])} when {of} rlike '\\\\p{{IsGreek}}' then {_sql(LETTERS['Greek'][i])} else {_sql(LETTERS['Latin'][i])} end"
+    tests = "".join(f" when {of} rlike '\\\\p{{Is{k}}}' then {_sql(v[i])}" for k, v in LETTERS.items() if k != "Latin")
+    return f"case{tests} else {_sql(LETTERS['Latin'][i])} end"
 
 
 def _syllables(at: int, n: int) -> str:
     """``n`` syllables from the hash ``x.h`` at hexadecimal digit ``at``."""
-    c, v = _by_script("x.raw", 0), _by_script("x.raw", 1)
+    c, v = _by_script("x.rest", 0), _by_script("x.rest", 1)
     return f"concat({', '.join(f"translate(substr(x.h, {at + 2 * i}, 1), '{HEX}', {c}), translate(substr(x.h, {at + 2 * i + 1}, 1), '{HEX}', {v})" for i in range(n))})"
 
 
@@ -72,11 +75,11 @@ def surrogates(raws: str, key: str, salt: int = 0) -> str:
     e = f"transform({raws}, m -> struct(m as raw, {_kind('m')} as kind))"
     # what stays in front, and what is replaced
     kept = r"""case x.kind
-      when 'secret' then regexp_extract(x.raw, '^((?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["\']?[ \\t]*[=:][ \\t]*["\']?)', 1)
+      when 'secret' then regexp_extract(x.raw, '^((?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)(?:[_-][A-Za-z0-9_-]{1,40})?["\']?[ \\t]*[=:][ \\t]*["\']?)', 1)
       when 'name' then regexp_extract(x.raw, '^(\\S+ )', 1)
       when 'iban' then substr(x.raw, 1, 2)
       when 'account' then substr(x.raw, 1, 1)
-      when 'phone' then regexp_extract(x.raw, '^(\\+[0-9]{1,3})[ .(-]', 1)
+      when 'phone' then if(x.raw rlike '^\\+[0-9]{1,3}[ .(-]', regexp_extract(x.raw, '^(\\+[0-9]{1,3})', 1), regexp_extract(x.raw, '^(\\+(?:[17]|[0-9]{2}))', 1))
       else '' end"""
     e = f"transform({e}, x -> struct(x.raw as raw, x.kind as kind, {kept} as kept))"
     e = f"transform({e}, x -> struct(x.raw as raw, x.kind as kind, x.kept as kept, substr(x.raw, length(x.kept) + 1) as rest))"
@@ -100,14 +103,15 @@ def surrogates(raws: str, key: str, salt: int = 0) -> str:
     digits = f"concat(if({half} = 0, '', lpad(cast(x.l as string), {half}, '0')), lpad(cast(x.r as string), length(x.norm) - {half}, '0'))"
     e = f"transform({e}, x -> struct({same}, x.l as l, x.r as r, x.h as h, if({number}, {digits}, '') as d))"
     put = "array_join(transform(sequence(1, length(x.rest)), i -> if(substr(x.rest, i, 1) between '0' and '9', substr(x.d, length(regexp_replace(substr(x.rest, 1, i), '[^0-9]', '')), 1), substr(x.rest, i, 1))), '')"
-    mail = f"concat(translate(substr(x.h, 1, {24 + 4 * salt}), '{HEX}', {_by_script('x.raw', 0)}), '@example.net')"
-    hexes = f"substr(concat(x.h, sha2(concat('2|', x.h), 512), sha2(concat('3|', x.h), 512)), 1, greatest({32 + 4 * salt}, least(length(x.rest), 300)))"
+    mail = f"concat(translate(substr(x.h, 1, {24 + 4 * salt}), '{HEX}', {_by_script('x.rest', 0)}), '@example.net')"
+    hexes = f"substr(repeat(concat(x.h, sha2(concat('2|', x.h), 512), sha2(concat('3|', x.h), 512)), 1 + length(x.rest) div 300), 1, greatest({32 + 4 * salt}, length(x.rest)))"
     family = f"initcap({_syllables(20, 7 + salt)})"
-    given = " ".join(
-        f"when x.kept rlike {_sql('^(?:' + HONORIFIC[g] + ')')} then concat(initcap({_syllables(1, 4)}), case when x.raw rlike '\\\\p{{IsCyrillic}}' then '{cyr}' when x.raw rlike '\\\\p{{IsGreek}}' then '{gr}' else '{lat}' end)"
+    ending = " ".join(
+        f"when x.kept rlike {_sql('^(?:' + HONORIFIC[g] + ')[.]? $')} then case when x.rest rlike '\\\\p{{IsCyrillic}}' then '{cyr}' when x.rest rlike '\\\\p{{IsGreek}}' then '{gr}' when x.rest rlike '\\\\p{{IsLatin}}' then '{lat}' else '' end"
         for g, cyr, gr, lat in (("m", "н", "ς", "n"), ("f", "на", "α", "na"))
     )
-    person = f"if(x.rest like '% %', concat(case {given} else '' end, ' ', {family}), {family})"
+    ending = f"case {ending} else '' end"
+    person = f"if(x.rest like '% %', concat(initcap({_syllables(1, 4)}), {ending}, ' ', {family}), concat({family}, {ending}))"
     cased = "if(x.rest = upper(x.rest) and x.rest <> lower(x.rest), upper({0}), {0})"
     sub = f"""case x.kind when 'email' then {cased.format(mail)} when 'secret' then {cased.format(hexes)} when 'name' then {cased.format(person)}
       when 'ip' then concat_ws('.', cast(x.l div 256 as string), cast(x.l % 256 as string), cast(x.r div 256 as string), cast(x.r % 256 as string))

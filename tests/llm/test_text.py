@@ -73,6 +73,23 @@ def test_surrogates(spark):
     assert out[2]["pii_kinds"] == ["account", "email", "ip", "secret"]
 
 
+def test_names_keep_gender_and_script(spark):
+    docs = [(1, "Mrs. Ali Hassan met Mr. Ali Hassan, Mrs Jones, Mr Jones and Dr. Jane Roe."), (2, "Mr. 王小明 and Mr. דוד; call +15551234567 or +442079460958"), (3, "token_abc=\"f33e61083db5\" secret: " + "a1" * 200)]
+    out = {r["doc_id"]: r["text"] for r in pii_surrogates.pseudonymized(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert re.search(r"Mrs\. \w+na \w+ met Mr\. \w+[^a] \w+, Mrs \w+na, Mr \w+n and Dr\. \w+ \w+\.$", out[1]) and "Hassan" not in out[1] and "Roe" not in out[1]
+    assert re.search(r"Mr\. [\u4e00-\u9fff]+ and Mr\. [\u05d0-\u05ea]+; call \+1\d{10} or \+44\d{10}$", out[2]) and "王" not in out[2]
+    assert "f33e61083db5" not in out[3] and re.search(r"secret: [0-9a-f]{400}$", out[3])
+    none = pii_surrogates.pseudonymized(spark.createDataFrame([], "doc_id long, text string, pii_kinds int"))
+    assert none.columns == ["doc_id", "text", "pii_kinds"] and none.count() == 0
+
+
+def test_number_surrogates_equal_a_plain_feistel(spark):
+    """The permutation of digits is one-to-one on its domain."""
+    docs = [(0, " ".join(f"{i:03d}-{i % 97:02d}-{i * 7 % 10000:04d}" for i in range(1000)))]
+    e = pii_surrogates.entities(spark.createDataFrame(docs, "doc_id long, text string")).toPandas()
+    assert set(e.kind) == {"ssn"} and e["sub"].nunique() == len(e) == 1000 and e["sub"].str.fullmatch(r"\d{3}-\d{2}-\d{4}").all()
+
+
 def test_surrogates_stay_apart(spark):
     docs = [(i, f"ip 10.0.{i // 200}.{i % 200 + 1} tel +1 (200) 555-{i:04d} id {4000000000000000 + i}") for i in range(1500)]
     e = pii_surrogates.entities(spark.createDataFrame(docs, "doc_id long, text string")).toPandas()
@@ -135,6 +152,25 @@ def test_main_text(spark):
     assert html_template.main_text(df.limit(0)).count() == 0
 
 
+def test_classes_without_any_names(spark, monkeypatch):
+    """With all word lists emptied, classes still tell the article from what most pages share."""
+    for name in ("NOT_TEXT", "NAMES", "ROLES"):
+        monkeypatch.setattr(html_template, name, frozenset())
+    page = "<body><div class=top>Home of the news</div><div class=a>{0}</div><div class=b>{1}</div>{3}<ul class=l><li><a href=1>{2} a link with many words</a></ul><div class=end>All rights</div></body>"
+    pages = [(i, "http://h.net/p", page.format(prose(i, 30), prose(i + 40, 20), prose(i + 80, 2), "<div class=n>Buy now</div>" * (i % 2 + 1) if i else "")) for i in range(12)]
+    pages += [(50 + i, "http://h.net/e", "") for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_template.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == prose(i, 30) + " " + prose(i + 40, 20) for i in range(12)) and got[50] == ""
+
+
+def test_pages_without_an_article_on_a_host_with_articles(spark):
+    pages = [(i, "http://h.net/p", f"<article>{prose(i, 30)}</article>") for i in range(6)]
+    pages += [(20 + i, "http://h.net/q", f"<body><div class=x>{prose(i + 30, 40)}</div><div class=y>{prose(i + 60, 3)}</div></body>") for i in range(6)]
+    pages += [(40, None, "<p>" + "long " * 50_000)] * 2
+    got = {r["page_id"]: r["text"] for r in html_template.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == prose(i, 30) and got[20 + i] == prose(i + 30, 40) for i in range(6)) and len(got[40]) == 249_999
+
+
 def test_template_text_is_dropped(spark):
     page = "<body><div class=m1><a href=1>{1}</a> <a href=2>more links here</a></div><div class=c>{0}<p>The same notice on every page.</p></div></body>"
     pages = [(i, "http://h.net/p", page.format(prose(i, 30), prose(i + 40, 2))) for i in range(9)]
