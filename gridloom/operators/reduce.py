@@ -109,8 +109,9 @@ def scale01(lat):
 @operator("inm")
 def inm(lat, mean):
     """Scale each volume to a mean of its positive values."""
-    m = F.avg(F.when(N.gt(F.col("v"), 0), F.col("v"))).over(Window.partitionBy("t"))
-    return lat.with_df(lat.df.withColumn("v", F.coalesce(F.col("v") * (F.lit(float(mean)) / F.when(m != 0, m)), F.col("v"))))
+    means = lat.df.groupBy("t").agg(F.avg(F.when(N.gt(F.col("v"), 0), F.col("v"))).alias("m"))  # a row for each volume, from partial sums
+    m = F.col("m")
+    return lat.with_df(lat.df.join(means, "t").withColumn("v", F.coalesce(F.col("v") * (F.lit(float(mean)) / F.when(m != 0, m)), F.col("v"))))
 
 
 @operator("ing")

@@ -232,9 +232,10 @@ def sobel(lat):
 def sobel_binary(lat):
     """Thin edges: interior local maxima along the strongest direction, above a tenth of the volume's maximum."""
     nx, ny, nz, _ = lat.shape
-    top = F.max("v").over(Window.partitionBy("t"))
-    s = F.col("v") / F.when(top > 0, top).otherwise(1.0)
-    df = _gradients(lat).withColumn("s", F.when(s < 0.1, 0.0).otherwise(s))
+    edges = _gradients(lat)
+    tops = edges.groupBy("t").agg(F.max("v").alias("top"))  # a row for each volume, from partial maxima
+    s = F.col("v") / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)
+    df = edges.join(tops, "t").withColumn("s", F.when(s < 0.1, 0.0).otherwise(s))
     for c in "xyz":
         w = Window.partitionBy(*(k for k in SITE if k != c)).orderBy(c)
         df = df.withColumn(f"m{c}", F.greatest(F.lag("s").over(w), F.lead("s").over(w)))

@@ -389,6 +389,11 @@ add("nifti_roundtrip", "4", lambda lat: _through_bytes(lat), " select x, y, z, t
 for _name in ("MD", "MO", "L1", "L3"):
     add(f"tensor_{_name}", "4", (lambda n: lambda lat: tensor.part(tensor.parts(_SIX4(lat)), n))(_name))
 
+# the trace over three, 0 where a principal minor is negative, which is where an eigenvalue is
+ORACLES["tensor_MD"] = f"""with {E4}, m as (select x, y, z, {", ".join(f"max(case when t = {k} then v + 1 end) as {c}" for k, c in enumerate(("xx", "xy", "xz", "yy", "yz", "zz")))} from e where t < 6 group by x, y, z)
+  select x, y, z, 0 as t, round(case when least(xx, yy, zz, xx * yy - xy * xy, xx * zz - xz * xz, yy * zz - yz * yz,
+  xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz)) < 0 then 0 else (xx + yy + zz) / 3 end, 6) + 0.0 as v from m"""
+
 
 def demean_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``-Tmean -mul -1 -add image``: a reduction, a scalar, and a join of a volume with a series."""
