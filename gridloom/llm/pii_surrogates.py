@@ -3,18 +3,22 @@ r"""Surrogates for personal data (operator 8, DataFrame functions only).
 One regular expression finds e-mail addresses, assigned secrets, IPv4 addresses, phone, social-security and
 account numbers, IBANs and names behind an honorific. Every entity gets a keyed replacement of its type:
 
-* numbers and addresses go through a keyed Feistel permutation of their own digits (or 32 bits), which is
-  one-to-one, so distinct entities stay distinct; separators, country code and issuer digit stay;
+* numbers and addresses go through a keyed permutation of their own digits (or 32 bits): a Feistel network, a shift, and
+  the network backwards. That is one-to-one and, as the shift has none, without a fixed point, so distinct entities stay distinct and none
+  stays as it is, however many there are; separators, country code and issuer digit stay, and an IBAN gets check digits that are right
+  if the original's were;
 * e-mail addresses, secrets and names are built from a keyed hash of their normal form in the entity's
-  script, case and length class; names keep the gender of their honorific.
+  script, case and length class; names keep the gender of their honorific, e-mail addresses the places of their dots,
+  signs and digits (short ones get more letters, so that they can't coincide).
 
 The same entity has the same surrogate in every document (coreference). Before the texts are rewritten, the
-distinct entities of the whole table are checked for surrogates that coincide or that equal their original;
-on any, the key's salt and the length of hashed surrogates grow and the check is repeated.
+distinct entities of the whole table are checked for surrogates that coincide or that equal their original, and those from hashes for any
+that equals another entity's original; on any, the key's salt and the length of hashed surrogates grow and the check is repeated.
 
 Texts are rebuilt from the parts between the matches, so that no surrogate is ever searched again. Texts
 without a digit, ``@``, ``=`` or honorific are passed through unread. Names are found behind an honorific only, secrets behind a keyword with at least 8 characters;
-street addresses and passport numbers are not looked for. E-mail surrogates have a length and a domain of their own. Scripts
+street addresses and passport numbers are not looked for. E-mail surrogates share one reserved domain. A permuted number can equal the real
+number of another person (whose own is replaced as well). Scripts
 without a surrogate alphabet get Latin letters.
 
 Defined results: null texts stay null and empty texts empty, both with no entity; repeated rows get equal
@@ -64,6 +68,11 @@ def _syllables(at: int, n: int) -> str:
     return f"concat({', '.join(f"translate(substr(x.h, {at + 2 * i}, 1), '{HEX}', {c}), translate(substr(x.h, {at + 2 * i + 1}, 1), '{HEX}', {v})" for i in range(n))})"
 
 
+def _mod97(s: str) -> str:
+    """The remainder by 97 of digits and letters, the letters as 10 to 35."""
+    return f"aggregate(sequence(1, length({s})), 0, (a, i) -> if(substr({s}, i, 1) between '0' and '9', a * 10 + ascii(substr({s}, i, 1)) - 48, a * 100 + ascii(substr({s}, i, 1)) - 55) % 97)"
+
+
 def _kind(raw: str) -> str:
     tests = "".join(f" when {raw} rlike {_sql('^(?:' + p + ')$')} then '{k}'" for k, p in KINDS.items())
     return f"case{tests} else 'account' end"
@@ -77,7 +86,7 @@ def surrogates(raws: str, key: str, salt: int = 0) -> str:
     kept = r"""case x.kind
       when 'secret' then regexp_extract(x.raw, '^((?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)(?:[_-][A-Za-z0-9_-]{1,40})?["\']?[ \\t]*[=:][ \\t]*["\']?)', 1)
       when 'name' then regexp_extract(x.raw, '^(\\S+ )', 1)
-      when 'iban' then substr(x.raw, 1, 2)
+      when 'iban' then if(substr(x.raw, 5) rlike '[0-9].*[0-9]', substr(x.raw, 1, 4), substr(x.raw, 1, 2))
       when 'account' then substr(x.raw, 1, 1)
       when 'phone' then if(x.raw rlike '^\\+[0-9]{1,3}[ .(-]', regexp_extract(x.raw, '^(\\+[0-9]{1,3})', 1), regexp_extract(x.raw, '^(\\+(?:[17]|[0-9]{2}))', 1))
       else '' end"""
@@ -95,15 +104,22 @@ def surrogates(raws: str, key: str, salt: int = 0) -> str:
       case when x.kind = 'ip' then 65536L when {number} then {ten.format(f'(length(x.norm) - {half})')} else 1L end as mr,
       sha2(concat({k}, '|', x.kind, '|', x.norm), 256) as h))"""
     same = "x.raw as raw, x.kind as kind, x.kept as kept, x.rest as rest, x.norm as norm"
-    for i in range(6):  # Feistel rounds
-        mixed = "pmod({a} + pmod(xxhash64({k}, x.kind, {i}, {b}, x.ml, x.mr), {m}), {m})"
-        left = mixed.format(a="x.l", b="x.r", m="x.ml", k=k, i=i) if i % 2 == 0 else "x.l"
-        right = mixed.format(a="x.r", b="x.l", m="x.mr", k=k, i=i) if i % 2 else "x.r"
+    mixed = "pmod({a} {sign} pmod(xxhash64({k}, x.kind, {i}, {b}, x.ml, x.mr), {m}), {m})"
+    for i, sign in [*((i, "+") for i in range(6)), (6, ""), *((i, "-") for i in range(5, -1, -1))]:  # Feistel rounds, a shift, the rounds backwards
+        left = mixed.format(a="x.l", b="x.r", m="x.ml", k=k, i=i, sign=sign) if i % 2 == 0 else "x.l"
+        right = mixed.format(a="x.r", b="x.l", m="x.mr", k=k, i=i, sign=sign) if i % 2 else "x.r"
+        if i == 6:
+            by = "xxhash64({k}, x.kind, 'shift', '{part}', x.ml, x.mr)"
+            left = f"(x.l + pmod({by.format(k=k, part='l')}, x.ml)) % x.ml"
+            right = f"if(x.mr > 1, (x.r + 1 + pmod({by.format(k=k, part='r')}, x.mr - 1)) % x.mr, x.r)"
         e = f"transform({e}, x -> struct({same}, {left} as l, {right} as r, x.ml as ml, x.mr as mr, x.h as h))"
     digits = f"concat(if({half} = 0, '', lpad(cast(x.l as string), {half}, '0')), lpad(cast(x.r as string), length(x.norm) - {half}, '0'))"
     e = f"transform({e}, x -> struct({same}, x.l as l, x.r as r, x.h as h, if({number}, {digits}, '') as d))"
     put = "array_join(transform(sequence(1, length(x.rest)), i -> if(substr(x.rest, i, 1) between '0' and '9', substr(x.d, length(regexp_replace(substr(x.rest, 1, i), '[^0-9]', '')), 1), substr(x.rest, i, 1))), '')"
-    mail = f"concat(translate(substr(x.h, 1, {24 + 4 * salt}), '{HEX}', {_by_script('x.rest', 0)}), '@example.net')"
+    local, digit = "substring_index(x.norm, '@', 1)", "substr(x.h, pmod(i - 1, 64) + 1, 1)"
+    shaped = f"array_join(transform(sequence(1, length({local})), i -> case when substr({local}, i, 1) rlike '\\\\p{{N}}' then translate({digit}, '{HEX}', '0123456789012345') when substr({local}, i, 1) rlike '\\\\p{{L}}' then translate({digit}, '{HEX}', {_by_script('x.rest', 0)}) else substr({local}, i, 1) end), '')"
+    more = f"greatest(0, {24 + 4 * salt} - length(regexp_replace({local}, '[^\\\\p{{L}}\\\\p{{N}}]', '')))"
+    mail = f"concat({shaped}, translate(substr(sha2(concat('2|', x.h), 256), 1, {more}), '{HEX}', {_by_script('x.rest', 0)}), '@example.net')"
     hexes = f"substr(repeat(concat(x.h, sha2(concat('2|', x.h), 512), sha2(concat('3|', x.h), 512)), 1 + length(x.rest) div 300), 1, greatest({32 + 4 * salt}, length(x.rest)))"
     family = f"initcap({_syllables(20, 7 + salt)})"
     ending = " ".join(
@@ -116,7 +132,10 @@ def surrogates(raws: str, key: str, salt: int = 0) -> str:
     sub = f"""case x.kind when 'email' then {cased.format(mail)} when 'secret' then {cased.format(hexes)} when 'name' then {cased.format(person)}
       when 'ip' then concat_ws('.', cast(x.l div 256 as string), cast(x.l % 256 as string), cast(x.r div 256 as string), cast(x.r % 256 as string))
       else {put} end"""
-    return f"transform({e}, x -> struct(x.raw as raw, x.kind as kind, concat(x.kept, '|', x.norm) as norm, concat(x.kept, {sub}) as sub))"
+    e = f"transform({e}, x -> struct(x.raw as raw, x.kind as kind, x.kept as kept, x.rest as rest, x.norm as norm, {sub} as sub))"
+    old, new = (_mod97(f"concat(regexp_replace({v}, ' ', ''), substr(x.kept, 1, 2), '00')") for v in ("x.rest", "x.sub"))
+    checked = f"if(x.kind = 'iban' and length(x.kept) = 4, concat(substr(x.kept, 1, 2), lpad(cast(pmod(cast(substr(x.kept, 3) as int) + {old} - {new}, 100) as string), 2, '0')), x.kept)"
+    return f"transform({e}, x -> struct(x.raw as raw, x.kind as kind, concat(x.kept, '|', x.norm) as norm, concat({checked}, x.sub) as sub))"
 
 
 def _matches(text: Column) -> Column:
@@ -130,11 +149,15 @@ def entities(docs: DataFrame, text_col: str = "text", key: str = "surrogate-key"
 
 
 def safe_salt(docs: DataFrame, text_col: str = "text", key: str = "surrogate-key", tries: int = 8) -> int:
-    """The first salt under which all entities' surrogates are distinct and differ from their originals."""
+    """The first salt under which all entities' surrogates are distinct and differ from their originals, hashed ones from all originals."""
     for salt in range(tries):
         e = entities(docs, text_col, key, salt)
-        clash = e.groupBy("kind", F.regexp_replace("sub", "[ ().+-]", "").alias("s")).agg(F.min(F.lower("norm")).alias("a"), F.max(F.lower("norm")).alias("b"), F.max(F.col("raw") == F.col("sub")).alias("same"))
-        if not clash.where("same or (a <> b and kind in ('email', 'secret', 'name', 'ip'))").head(1):
+        made = F.struct(F.regexp_replace(F.lower("sub"), "[ ().+-]", "").alias("s"), F.lower("norm").alias("who"), (F.col("raw") == F.col("sub")).alias("same"))
+        real = F.struct(F.regexp_replace(F.lower("raw"), "[ ().+-]", "").alias("s"), F.lit(None).cast("string").alias("who"), F.lit(False).alias("same"))
+        hashed = F.col("kind").isin("email", "secret", "name")
+        both = e.select("kind", F.explode(F.when(hashed, F.array(made, real)).otherwise(F.array(made))).alias("v")).select("kind", "v.*")
+        clash = both.groupBy("kind", "s").agg(F.min("who").alias("a"), F.max("who").alias("b"), F.max("same").alias("same"), F.max(F.col("who").isNull()).alias("real"))
+        if not clash.where("same or (a <> b and kind in ('email', 'secret', 'name', 'ip')) or (real and a is not null)").head(1):
             return salt
     raise ValueError("no salt keeps the surrogates apart")
 

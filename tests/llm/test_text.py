@@ -96,6 +96,45 @@ def test_surrogates_stay_apart(spark):
     assert len(e) == 4500 and e["sub"].nunique() == 4500 and not set(e["raw"]) & set(e["sub"])
 
 
+def test_numbers_of_a_whole_domain(spark):
+    """All 10,000 numbers of one shape: a permutation without a fixed point, so every salt will do at any size."""
+    docs = [(i, f"+49 {i // 100:02d} {i % 100:02d}") for i in range(10_000)]
+    e = pii_surrogates.entities(spark.createDataFrame(docs, "doc_id long, text string")).toPandas()
+    assert len(e) == 10_000 and set(e["raw"]) == set(e["sub"]) and not (e["raw"] == e["sub"]).any()
+    assert pii_surrogates.safe_salt(spark.createDataFrame(docs, "doc_id long, text string")) == 0
+
+
+def test_account_numbers_keep_their_checks(spark):
+    def mod97(iban):
+        s = iban.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+    right = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "FR1420041010050500013M02606"]
+    wrong = ["GB83 WEST 1234 5698 7654 32", "DE00370400440532013000"]
+    docs = [(i, t) for i, t in enumerate([*right, *wrong, "GB82WEST12345698765432", "AB12 ABCD EFGH IJKL"])]
+    out = {r["raw"]: r["sub"] for r in pii_surrogates.entities(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(out) == len(docs) and len({s.replace(" ", "") for s in out.values()}) == len(docs) - 1
+    assert all(mod97(r) == 1 == mod97(out[r]) for r in right) and all(mod97(out[r]) != 1 for r in wrong)
+    assert out["GB82WEST12345698765432"] == out[right[0]].replace(" ", "")
+    assert all(re.sub(r"\d", "0", r) == re.sub(r"\d", "0", s) and r != s for r, s in out.items())
+
+
+def test_mail_keeps_its_shape(spark):
+    docs = [(1, "ann.lee-77@site.org"), (2, "........@b.co"), (3, "a@b.co"), (4, "b@b.co"), (5, "ИВАН.П@ПОЧТА.РФ"), (6, "x" * 200 + ".1@y.org")]
+    out = {r["raw"]: r["sub"] for r in pii_surrogates.entities(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(set(out.values())) == 6 and all(s.lower().endswith("@example.net") for s in out.values())
+    assert re.match(r"[a-z]{3}\.[a-z]{3}-\d\d[a-z]{16}@", out["ann.lee-77@site.org"]) and re.match(r"[А-Я]{4}\.[А-Я]{20}@", out["ИВАН.П@ПОЧТА.РФ"])
+    assert re.match(r"[a-z]{200}\.\d@", out["x" * 200 + ".1@y.org"])
+
+
+def test_no_salt_that_meets_an_original(spark):
+    """A hashed surrogate that is another entity's original moves the salt on."""
+    one = spark.createDataFrame([(1, "ann@site.org")], "doc_id long, text string")
+    met = pii_surrogates.entities(one).first()["sub"]
+    assert pii_surrogates.safe_salt(one) == 0
+    assert pii_surrogates.safe_salt(one.union(spark.createDataFrame([(2, met)], "doc_id long, text string"))) == 1
+
+
 def test_pii_odd_rows(odd_docs):
     out = pii_surrogates.pseudonymized(odd_docs)
     assert out.columns == [*odd_docs.columns, "pii_kinds"] and out.count() == odd_docs.count()
