@@ -262,3 +262,29 @@ def test_languages(spark, odd_docs):
     empty = language_ecoc.fit(docs.limit(0), F.lit(True))
     assert {r["lang_pred"] for r in language_ecoc.identified(odd_docs, empty).collect()} == {"und"}
     assert language_ecoc.identified(odd_docs.limit(0), model).count() == 0
+
+
+def test_only_ordered_and_nested_classes_are_template(spark):
+    """Lines that change places on a host's pages are text; a line in its place on each of them is not."""
+    lines = [prose(500 + i, 6) for i in range(3)]
+    pages, want = [], {}
+    for i in range(12):
+        own = lines[i % 3 :] + lines[: i % 3]
+        want[i] = " ".join([prose(i, 20), *own[:: 1 if i % 2 else -1]])
+        body = "".join(f"<p>{x}</p>" for x in own[:: 1 if i % 2 else -1])
+        pages.append((i, "http://h.net/p", f"<article><p>Read this first.</p><p>{prose(i, 20)}</p>{body}<p>The end of it.</p></article>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_template.main_text(df).collect()} == want
+    assert {r["page_id"]: r["text"] for r in html_template.main_text(df, broadcast_rows=0).collect()} == want
+
+
+def test_classes_that_cross_are_not_nested():
+    def pairs(line):
+        at = {t: [i for i, x in enumerate(line) if x == t] for t in line}
+        return [(x, y, html_template.pattern(at[x], at[y]), 10) for x in sorted(at) for y in sorted(at) if x < y]
+
+    big, small = (10, [1, 2]), (9, [3, 4])
+    assert html_template.valid_tokens([big, small], pairs([1, 3, 4, 2]), 0.9) == [1, 2, 3, 4]
+    assert html_template.valid_tokens([big, small], pairs([3, 1, 2, 4]), 0.9) == [1, 2, 3, 4]
+    assert html_template.valid_tokens([big, small], pairs([1, 3, 2, 4]), 0.9) == [1, 2]
+    assert html_template.valid_tokens([(10, [1]), (9, [2])], [(1, 2, 1, 5), (1, 2, -1, 4)], 0.9) == [1]
