@@ -119,3 +119,29 @@ def test_stream_of_voxels(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("voxels").count() == A.size and spark.table("voxels").agg({"v": "min"}).first()[0] >= 0
+
+
+def test_runs_of_a_file(spark, monkeypatch, tmp_path):
+    """The whole image went through the driver."""
+    from gridloom.lattice import Lattice
+
+    monkeypatch.setattr(nifti, "RUN", 7)
+    a = np.random.default_rng(2).normal(size=(3, 4, 2, 5)) * 100
+    a[1, 2] = np.nan
+    lat = Lattice.of_numpy(spark, a)
+    for kind in ("double", "short"):
+        head = nifti.parse_header(nifti.header_bytes(lat, kind)[:348])
+        whole = nifti.encode(a, lat, kind)
+        runs = nifti.encoded(lat, kind)
+        assert b"".join(bytes(r["data"]) for r in runs.orderBy("run").collect()) == whole[352:]
+        monkeypatch.setattr(Lattice, "to_numpy", None)
+        back = {tuple(r)[:4]: r["v"] for r in nifti.decoded(runs, head).collect()}
+        nifti.write(lat.with_df(lat.df.where("t <> 1 or z <> 0")), str(tmp_path / "a.nii"), kind)
+        monkeypatch.undo()
+        monkeypatch.setattr(nifti, "RUN", 7)
+        assert len(back) == a.size and all(np.array_equal(v, nifti.scaled(whole[352:], head).reshape(a.shape)[k], equal_nan=True) for k, v in back.items())
+        gap = a.copy()
+        gap[1, 0] = np.nan
+        assert (tmp_path / "a.nii").read_bytes() == nifti.encode(gap, lat, kind)
+    long = lat.with_df(lat.df, shape=(5, 2, 4, 40_000))
+    assert nifti.geometry(nifti.parse_header(nifti.header_bytes(long, "double", nifti.least_version(long))))[0] == long.shape
