@@ -113,6 +113,58 @@ def test_unifize_in_slabs(spark, monkeypatch):
     assert [got[t] for t in (0, 1)] == [np.percentile(x, 98) for x in v]
 
 
+def by_parts(lat):
+    """Whether no step of the plan groups by volume alone."""
+    plan = lat.df._jdf.queryExecution().executedPlan().toString()
+    groups = [line for line in plan.splitlines() if "InPandas" in line]
+    return groups and all("b#" in line for line in groups)
+
+
+@pytest.mark.parametrize("op", ["edt", "sedt", ("dilate", 1.5, 2), ("erode", -1, 1.5), ("close", 1.5, 3, 1), ("close", 1.5, 3, 0)])
+def test_distances_in_parts(spark, monkeypatch, op):
+    """One task had a whole volume."""
+    from gridloom.plans import blocks
+
+    a, pix = RNG.normal(size=(2, 20, 4, 3)), (1.0, 2.0, 0.5)
+    a[1] = 9.0 if op == "edt" else a[1]
+    op = (op,) if isinstance(op, str) else op
+    monkeypatch.setattr(blocks, "SLAB_VOXELS", 30)
+    lat = Lattice.of_numpy(spark, a, pix=(*pix, 1.0)).apply(*op)
+    d = lambda m: np.nan_to_num(lines.distance(m, pix), posinf=lines.FAR)
+    want = {
+        "edt": lambda v: d(v > 0),
+        "sedt": lambda v: d(v > 0) - d(~(v > 0)),
+        "dilate": lambda v: np.where(d(v < 1.5) <= 2, v, 0),
+        "erode": lambda v: np.where(d(v >= -1) >= 1.5, v, 0),
+        "close": lambda v: np.where((e := d(d(v < 1.5) < op[2])) * (e >= op[3]) > 0, np.maximum(1.5, v), v),
+    }[op[0]]
+    assert np.array_equal(lat.to_numpy(), np.stack([want(v) for v in a])) and by_parts(lat)
+
+
+def test_envelope_of_far_sites():
+    for n, k in ((700, 2), (1000, 0), (513, 500)):
+        f = np.full(n, np.inf)
+        f[RNG.integers(0, n, k)] = RNG.random(k) * 1e4
+        i = np.arange(n)
+        want = np.min(f[None] + ((i[:, None] - i) * 0.7) ** 2, axis=1)
+        assert np.allclose(lines.envelope(np.stack([f, f * 0], 1), 0.7)[:, 0], want, rtol=1e-14)
+
+
+@pytest.mark.parametrize("zooms", [(2, 1, 1, 3), (1, 0.5, 2.5, 3), (1, 2, 0.3, 4), (1, 1, 0.5, 0)])
+def test_resize_in_runs(spark, monkeypatch, zooms):
+    """One task had a whole volume."""
+    from gridloom.plans import blocks
+
+    a = RNG.normal(size=(2, 30, 4, 3))
+    monkeypatch.setattr(blocks, "SLAB_VOXELS", 30)
+    lat = Lattice.of_numpy(spark, a).resize(*zooms)
+    want = a
+    for axis, n in ((3, 3), (2, 4), (1, 30)):
+        m = lines.resize_matrix(n, math.ceil(n * zooms[3 - axis]), zooms[3]) if zooms[3 - axis] != 1 else np.eye(n)
+        want = np.moveaxis(np.tensordot(m, want, axes=(1, axis)), 0, axis)
+    assert np.allclose(lat.to_numpy(), want, atol=1e-12) and by_parts(lat)
+
+
 def test_constant_stays_under_smoothing(spark):
     assert np.allclose(Lattice.of_numpy(spark, np.full((9, 9, 9), 3.0)).s(2).to_numpy(), 3.0)
 
