@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from gridloom.functions import numeric as N
 from gridloom.lattice import Lattice
 from gridloom.operators import operator
-from gridloom.plans.blocks import by_slab
+from gridloom.plans import blocks
+from gridloom.plans.blocks import by_slab, kept
 
 SCATTER = 27
 
@@ -166,19 +167,39 @@ for _name in ("fmean", "fmeanu", "dilF", "eroF", "dilM", "dilD", "ero", "fmedian
 
 @operator("dilall")
 def dilall(lat, most=10_000):
-    """Repeat ``dilM`` until no zero is left; an image of zeros stays as it is."""
-    from gridloom.plans.blocks import by_volume
-
-    sites = offsets(lat)
-
-    def fill(a):
-        for _ in range(int(most)):
-            if not (a == 0).any() or not (a != 0).any():
-                break
-            a = dense("dilM", a, sites)
-        return a
-
-    return by_volume(lat, fill)
+    """Repeat ``dilM`` until no zero is left or none goes any more; an image of zeros stays as it is.
+
+    In rounds of as many steps as the halo of a slab allows; steps after a slab's last zero change nothing there.
+    """
+    sites, (nx, ny, _, _), most = offsets(lat), lat.shape, int(most)
+    reach = max(abs(s[2]) for s in sites)
+    halo = max(reach, 8, min(64, blocks.SLAB_VOXELS // (4 * nx * ny))) if reach else 0
+
+    def fill(steps):
+        def run(a, _):
+            for _ in range(steps):
+                if not (a == 0).any() or not (a != 0).any():
+                    break
+                new = dense("dilM", a, sites)
+                if not reach and np.array_equal(new, a, equal_nan=True):
+                    break
+                a = new
+            return a
+
+        return run
+
+    done, before = 0, None
+    while done < most:
+        steps = min(most - done, halo // reach if reach else most)
+        lat = by_slab(lat, halo, fill(steps))
+        lat = lat.with_df(kept(lat.df))
+        done += steps
+        zero = F.col("v") == 0
+        by = lat.df.groupBy("t").agg(F.sum(N.flag(zero)).alias("zeros"), F.sum(N.flag(~zero)).alias("others")).where("others > 0").agg(F.sum("zeros")).first()[0]
+        if not by or by == before or not reach:
+            break
+        before = by
+    return lat
 
 
 @operator("edge")
